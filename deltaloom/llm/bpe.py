@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces, slices
+from .common import pieces, ragged, slices
 
 #: Entries that a worker keeps in each of its memories; when one is full it is emptied.
 MEMORY = 1 << 20
@@ -227,18 +227,30 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def normalized(docs: DataFrame, path: str) -> DataFrame:
-    """``documents`` with an ``ids`` column (array<int>) and its ``decoded`` text beside all of its columns."""
-    out = docs.schema
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids (array<int>), decoded_sha256 for every row of ``docs``; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
+        memory: dict[str, tuple[bytes, bytes]] = {}
         for batch in slices(batches, "text"):
             offsets, index, distinct = pieces(batch.column("text"))
-            ids = bpe.all_pieces(distinct)
-            rows = [[i for p in index[a:b] for i in ids[p]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int32())), pa.array([bpe.decode(r) for r in rows])], [*batch.schema.names, "ids", "decoded"])
-
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
-
-    return docs.mapInArrow(run, StructType([*out.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
+            if len(memory) > MEMORY // 4:
+                memory.clear()
+            new = [x for x in distinct if x not in memory]
+            for x, ids in zip(new, bpe.all_pieces(new), strict=True):
+                memory[x] = (np.array(ids, np.int32).tobytes(), "".join([bpe.names[i] + " " for i in ids]).encode())
+            found = [memory[x] for x in distinct]
+            counts = np.fromiter((len(x[0]) // 4 for x in found), np.int64, len(found))
+            flat, starts = np.frombuffer(b"".join([x[0] for x in found]), np.int32), np.cumsum(counts) - counts
+            ids = flat[ragged(starts[index], counts[index])]
+            bounds = np.concatenate([[0], np.cumsum(counts[index])])[offsets]
+            names = pa.array([x[1] for x in found], pa.large_binary()).take(pa.array(index))
+            ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset :][offsets]
+            data = memoryview(names.buffers()[2] or b"")
+            decoded = [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.diff(bounds)), lists, pa.array(decoded)], ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, decoded_sha256 string")

@@ -48,10 +48,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFra
     return s.select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, per_bucket: int = 20_000) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text)."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, per_bucket: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text), and the columns ``carry``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(docs["text"].cast("string")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(docs["text"].cast("string")).alias("size"), *carry)
     # The order within a source is that of the id's digest, so a later run, and another engine, shuffle alike.
     rows = written(rows.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), spark)
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
     rows = rows.withColumn("within", F.sum("size").over(order))
     same = lambda a, b, *on: [a[c].eqNullSafe(b[c]) for c in on]
     rows = rows.join(sums, same(rows, sums, "source", "bucket"), "left").select(rows["*"], sums["before"])
-    rows = rows.join(plan, same(rows, plan, "source"), "left").select("doc_id", rows["source"], "size", "turn", "source_size", "target", (F.col("before") + F.col("within")).alias("upto"))
+    rows = rows.join(plan, same(rows, plan, "source"), "left").select("doc_id", rows["source"], "size", "turn", "source_size", "target", *carry, (F.col("before") + F.col("within")).alias("upto"))
     rows = written(rows, spark)
 
     copies = rows.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("copy"))
@@ -93,4 +93,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
         taken = taken | ((F.floor(started * width) == last) & (key <= limit))
     for k in range(repeats):
         rows = rows.withColumn("k", F.lit(k)).withColumn(f"take{k}", F.when((F.col("size") > 0) & taken, F.col("size")).otherwise(F.lit(0)).cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", sum((F.col(f"take{k}") for k in range(1, repeats)), F.col("take0")).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", sum((F.col(f"take{k}") for k in range(1, repeats)), F.col("take0")).alias("taken"), *carry)
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: the rows of ``docs``, with all their columns, as often as the mix takes them. The copies are found
+    on narrow rows; texts are shuffled once, to be joined with their numbers. Documents without words are not taken."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("text").cast("string")))
+    copies = mix(keyed, carry=("_key",), **how).where("taken > 0").groupBy("_key").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"))
+    once = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))).where("_nth = 1")
+    return once.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -12,22 +12,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeats
+
+    return repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .idfiles import id_files
 
-    return id_files(_table(spark, sf_dir, "documents"), _vocabulary())
+    return id_files(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +64,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
-    return encode_decode(_table(spark, sf_dir, "documents"), _vocabulary())
+    return encode_decode(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +83,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op5_id_files, op6_warc, op7_fingerprints, op8_bpe, op9_chat, op10_top_k)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_toxicity, op4_repeats, op5_id_files, op6_warc, op7_fingerprints, op8_bpe, op9_chat, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
