@@ -53,3 +53,14 @@ class Store:
 
     def folder(self, kind: str) -> str:
         return f"{self.root}/{kind}/{uuid.uuid4().hex}"
+
+
+def workspace(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a local one where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="deltaloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/views-{uuid.uuid4().hex}"
