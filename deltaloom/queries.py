@@ -88,6 +88,13 @@ VIEWS = {
 }
 
 
+def validate(engine: Engine, definition: str):
+    """The spec of a definition over an engine's tables."""
+    from .plans.shape import validate as check
+
+    return check(engine.session, definition, engine._facts())
+
+
 def _sql(view: str, orders: str | None = None, customers: str | None = None) -> str:
     """The definition over the tables' SQL; sums are BIGINT in Spark."""
     tables, definition = VIEWS[view]

@@ -15,6 +15,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from ..sources.changelog import ChangeLog
 from ..sources.store import Store
 
 #: Settings with their defaults.
-SETTINGS = {"poll_interval_ms": 100, "retain_deltas": 100_000, "max_pending_changes": 50_000_000, "max_apply_failures": 3, "batch_changes": 5_000_000, "keep_versions": 3}
+SETTINGS = {"poll_interval_ms": 100, "retain_deltas": 100_000, "max_pending_changes": 50_000_000, "max_apply_failures": 3, "batch_changes": 5_000_000, "keep_versions": 3, "views_at_once": 8}
 
 
 class Engine:
@@ -298,12 +299,11 @@ class Engine:
             return did
         upto = self.log.upto(start, self.settings["batch_changes"])
         self._truncations(live, start, upto)
-        told = []
-        for v in [v for v in live if v["status"] == "live" and v["frontier"] < upto]:
-            before = v["last_seq"]
-            self._advance(v, upto)
-            if v["last_seq"] > before:
-                told.append((v["name"], v["last_seq"], v["frontier"]))
+        behind = [v for v in live if v["status"] == "live" and v["frontier"] < upto]
+        before = [v["last_seq"] for v in behind]
+        with ThreadPoolExecutor(self.settings["views_at_once"]) as pool:  # each has jobs and manifest entries of its own
+            list(pool.map(lambda v: self._advance(v, upto), behind))
+        told = [(v["name"], v["last_seq"], v["frontier"]) for v, b in zip(behind, before, strict=True) if v["last_seq"] > b]
         self._move_shadows()
         self.manifest["offset"] = upto
         self._commit()
@@ -377,9 +377,10 @@ class Engine:
             path = self._write(net, "net")  # computed once, for the feed and for the state
             net = self.spark.read.parquet(path)
             self._discard(path)
-            made["state"] = self._write(D.merged(state, net, spec.identity, columns), "view")
-            feed = D.feed(net, spec.identity, spec.visible, v["last_seq"])
-            made["deltas"] = self._write(feed, "deltas")
+            with ThreadPoolExecutor(2) as pool:
+                merged = pool.submit(self._write, D.merged(state, net, spec.identity, columns), "view")
+                made["deltas"] = self._write(D.feed(net, spec.identity, spec.visible, v["last_seq"]), "deltas")
+                made["state"] = merged.result()
             made["rows"] = self.spark.read.parquet(made["deltas"]).count()
         if keep:
             if net is not None:
