@@ -9,7 +9,7 @@ similarity s share a band with probability 1 - (1 - s**5)**18: 99.92 % at 0.8, 9
 2. Bands shared by different classes connect them to clusters, by the least class of each band. A band that a third of
    all classes share is summed up like any other key; pairs within a band are never made.
 3. Only classes in clusters of two or more have their sets made again from the text, once a class. A cluster of more than
-   ``block`` classes is cut by size (0.8 or more needs sizes within 5/4) and then into blocks; every pair of blocks is a
+   ``block`` classes, or of very many shingles, is cut by size (0.8 or more needs sizes within 5/4) and then into blocks; every pair of blocks is a
    group of bounded size. In it all pairs are verified on the full sets, as bit vectors over the shingles that more than
    one of them has. A group gives the number of links of each class and the edges of a spanning forest, not the pairs.
 4. The edges are connected in turn.
@@ -33,6 +33,10 @@ from pyspark.sql import functions as F
 from .common import mix64, shingles, slices, tasks, utf8, written
 
 BANDS, ROWS, BLOCK = 18, 5, 256
+#: Shingles of a block, about: blocks of long documents have fewer of them, so a group's memory is bounded.
+LOAD = 400_000
+#: Bytes of text that shingles are made of at a time.
+SLICE = 1 << 20
 SIMILAR = 0.8
 
 
@@ -58,7 +62,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, klass (digest of the shingle set), size, bands (array) of every row that has an id and a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             raw, offsets = utf8(batch.column("text"))
             row, hashes = shingles(raw, offsets)
             order = np.lexsort((hashes, row))
@@ -117,10 +121,10 @@ def placed(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """(klass, cluster, size) with the ``groups`` that it must be in, so that any two of a cluster that can be similar
     meet in exactly one. A small cluster is one group. A large one is cut by the power of 5/4 of the size, and each part
     into blocks by digest; a block meets the blocks of its own and of the next part."""
-    total = members.groupBy("cluster").agg(F.count("*").alias("m"))
+    total = members.groupBy("cluster").agg(F.when(F.sum("size") <= LOAD, F.count("*")).otherwise(F.lit(1 << 62)).alias("m"))
     members = members.withColumn("step", F.floor(F.log("size") / math.log(1.25) + 1e-9).cast("long"))
     parts = members.groupBy("cluster", "step").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / block)
+    blocks = F.ceil(F.col("n") / F.greatest(F.lit(2.0), F.least(F.lit(float(block)), LOAD / F.pow(F.lit(1.25), F.col("step") + 1))))
     parts = parts.withColumn("k", blocks)
     up = parts.select("cluster", (F.col("step") - 1).alias("step"), F.col("k").alias("k_up"))
     down = parts.select("cluster", (F.col("step") + 1).alias("step"), F.col("k").alias("k_down"))
@@ -142,21 +146,22 @@ def similar_pairs(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     everything = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     order = np.argsort(everything, kind="stable")
-    values, owner = everything[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    place = np.cumsum(new) - 1
+    everything, owner = everything[order], owner[order]
+    del order
+    new = np.ones(len(everything), bool)
+    new[1:] = everything[1:] != everything[:-1]
+    place = np.cumsum(new, dtype=np.int32) - 1
     often = np.bincount(place)
     wanted = np.flatnonzero(often > 1)  # a shingle of one document is in no intersection
-    renumber = np.full(len(often), -1, np.int64)
-    renumber[wanted] = np.arange(len(wanted))
+    renumber = np.full(len(often), -1, np.int32)
+    renumber[wanted] = np.arange(len(wanted), dtype=np.int32)
     column = renumber[place]
     keep = column >= 0
     both = np.zeros((n, n), np.int32)
     column, owner = column[keep], owner[keep]
-    cut = 1 << 16
+    cut = 1 << 15
     for low in range(0, len(wanted), cut):
         a, b = np.searchsorted(column, [low, low + cut])
         width = min(cut, len(wanted) - low)
@@ -221,7 +226,7 @@ def verified(sets: DataFrame) -> DataFrame:
                 if group != now:
                     close()
                     now = group
-                held.setdefault(rest[2], (*rest, np.frombuffer(batch.column("hashes")[i].as_buffer(), np.uint64)))
+                held.setdefault(rest[2], (*rest, np.frombuffer(batch.column("hashes")[i].as_py(), np.uint64)))  # a copy: the batch can go
             if len(out) > 50_000:
                 yield batch_of()
         close()
@@ -236,7 +241,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("first"), docs["text"].cast("string").alias("text")).join(wanted, "first").select(*names, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             raw, offsets = utf8(batch.column("text"))
             row, hashes = shingles(raw, offsets)
             at = np.searchsorted(row, np.arange(len(offsets)))
