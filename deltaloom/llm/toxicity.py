@@ -26,8 +26,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -167,10 +165,14 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, features: int
     good = scored.where("score > 0").orderBy(F.col("score").desc(), "feature").limit(features)
     scores = {r["feature"]: r["score"] for r in good.select("feature", "score").collect()}
     # Words that clean documents use too don't take the score of their beginning.
-    begin = [f for f in scores if f.startswith("^")]
-    stems = reduce(or_, (F.concat(F.lit("^"), F.substring("feature", 1, n)).isin(begin) for n in STEMS))
-    others = scored.where((F.col("c") >= 2) & (F.col("score") <= 0) & stems).orderBy(F.col("c").desc(), "feature") if begin else None
-    used = {r["feature"] for r in others.select("feature").limit(features).collect()} if others is not None else set()
+    begin = [(f[1:],) for f in scores if f.startswith("^")]  # at most ``features``
+    used: set[str] = set()
+    if begin:
+        begins = F.broadcast(docs.sparkSession.createDataFrame(begin, "begin string"))
+        stems = F.array(*[F.substring("feature", 1, n) for n in STEMS])
+        others = scored.where((F.col("c") >= 2) & (F.col("score") <= 0) & ~F.col("feature").startswith("^")).select("feature", "c", F.explode(stems).alias("begin"))
+        others = others.join(begins, "begin", "left_semi").select("feature", "c").distinct().orderBy(F.col("c").desc(), "feature")
+        used = {r["feature"] for r in others.limit(features).collect()}
     model = Model(scores, used)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
