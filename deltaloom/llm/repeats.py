@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import UNBASE, mix64, powers, prefix_hash, slices, tasks, utf8, written
@@ -119,10 +119,12 @@ def repeated_phrases(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(row)), pa.array(first), pa.array(windows.astype(np.int32)), pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64))], ["_key", "first", "windows", "trigger", "phrase"])
 
     found = docs.where(F.octet_length("text") >= LENGTH).select("_key", "text").mapInArrow(run, "_key long, first long, windows int, trigger long, phrase long")
-    of_trigger, of_phrase = Window.partitionBy("trigger"), Window.partitionBy("trigger", "phrase")
-    found = found.withColumn("nth", F.row_number().over(of_phrase.orderBy("_key", "first"))).withColumn("same", F.count("*").over(of_phrase))
-    found = found.withColumn("distinct", F.count(F.when(F.col("nth") == 1, 1)).over(of_trigger))
-    found = found.where("same > 1 or distinct > 1")
+    # Counts are summed up before they are shuffled, and joined back on trigger and phrase, a join whose large parts Spark
+    # splits: a phrase that fills a third of all text is no single task's.
+    per_phrase = found.groupBy("trigger", "phrase").agg(F.count("*").alias("same"), F.min(F.struct("_key", "first")).alias("least"))
+    per_trigger = per_phrase.groupBy("trigger").agg(F.count("*").alias("distinct"))
+    known = per_phrase.join(per_trigger, "trigger").where("same > 1 or distinct > 1")
+    found = found.join(known, ["trigger", "phrase"]).withColumn("nth", F.when(F.struct("_key", "first") == F.col("least"), 1).otherwise(2))
     item = F.struct("first", "windows", (F.col("same") > 1).alias("whole"), ((F.col("distinct") > 1) & (F.col("nth") == 1)).alias("compare"), "trigger", F.ceil(F.col("distinct") / SHARE).cast("int").alias("parts"))
     return found.groupBy("_key").agg(F.collect_list(item).alias("phrases"))
 
