@@ -53,6 +53,12 @@ class NotFound(ViewError):
     code = "IV404"
 
 
+class Conflict(ViewError):
+    """Another engine on the same folder was first; what was done is undone."""
+
+    code = "IV408"
+
+
 class Exists(ViewError):
     """The name is taken."""
 

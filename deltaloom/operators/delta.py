@@ -8,7 +8,7 @@ a batch; there is no loop over changes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,8 +57,9 @@ def latest(history: DataFrame) -> DataFrame:
     return history.where(F.col("__to") == LAST).drop("__from", "__to")
 
 
-def delta_join(aliases: Sequence[str], changed: Sequence[DataFrame], history: Sequence[DataFrame], quals: Sequence[str]) -> DataFrame | None:
-    """All signed rows of the join, with the relations' columns under their aliases and __lsn, __xid, __ord, __w. None if
+def delta_join(aliases: Sequence[str], changed: Sequence[DataFrame | None], history: Callable[[int, int], DataFrame], quals: Sequence[str]) -> list[tuple[int, DataFrame]] | None:
+    """The signed rows of the join, in parts by the relation that changed, with the relations' columns under their aliases
+    and __lsn, __xid, __ord, __w. ``history(i, j)``: the versions of relation j that changes of i are joined with. None if
     no relation changed (``changed`` has None there)."""
     parts = []
     for i, delta in enumerate(changed):
@@ -66,13 +67,12 @@ def delta_join(aliases: Sequence[str], changed: Sequence[DataFrame], history: Se
             continue
         rows = delta.alias(aliases[i])
         on: list[Column] = []
-        for j, other in enumerate(history):
+        for j in range(len(aliases)):
             if j == i:
                 continue
-            own = other.withColumnsRenamed({"__from": f"__from{j}", "__to": f"__to{j}"}).alias(aliases[j])
+            own = history(i, j).withColumnsRenamed({"__from": f"__from{j}", "__to": f"__to{j}"}).alias(aliases[j])
             t = F.col("__lsn")
-            when = (F.col(f"__from{j}") <= t) & (t < F.col(f"__to{j}")) if j < i else (F.col(f"__from{j}") < t) & (t <= F.col(f"__to{j}"))
-            on.append(when)
+            on.append((F.col(f"__from{j}") <= t) & (t < F.col(f"__to{j}")) if j < i else (F.col(f"__from{j}") < t) & (t <= F.col(f"__to{j}")))
             rows = rows.crossJoin(own)  # the conditions below make it an equi-join where there is a join key
         for q in quals:
             rows = rows.where(F.expr(q))

@@ -15,7 +15,8 @@ from .engine import Engine
 
 @dataclass
 class Snapshot:
-    """The view at ``cursor``. ``rows`` is a frame over files that later rounds don't touch."""
+    """The view at ``cursor``. ``rows`` is a frame over files that later rounds don't touch, and that stay for the engine's
+    ``keep_seconds`` after they were replaced."""
 
     epoch: int
     frontier: int
@@ -62,12 +63,11 @@ class Subscription:
 
     def _snapshot(self) -> Snapshot | None:
         """All from one manifest; None while the view is being built or is stale."""
-        now = self.engine.status(self.view)
+        now, rows = self.engine.snapshot(self.view, self.keep_hidden)
         if now["status"] == "failed":
             raise BuildFailed(f"{self.view} could not be built", now["stale_reason"])
-        if now["status"] != "live":
+        if rows is None:
             return None
-        rows = self.engine.storage(self.view) if self.keep_hidden else self.engine.read(self.view)
         return Snapshot(now["epoch"], now["frontier_lsn"], now["current_seq"], rows)
 
     def poll(self) -> Iterator[Snapshot | Transaction | Resync]:

@@ -25,6 +25,7 @@ class _Segment(InputPartition):
 class _Reader(DataSourceStreamReader):
     def __init__(self, root: str):
         self.root = root
+        self.known: dict[str, tuple[int, int, int]] = {}  # entries never change
 
     def _segments(self) -> list[tuple[int, int, int]]:
         import json
@@ -32,10 +33,13 @@ class _Reader(DataSourceStreamReader):
         from pyarrow import fs
 
         files, path = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
-        if files.get_file_info(f"{path}/log/segments.json").type == fs.FileType.NotFound:
-            return []
-        with files.open_input_stream(f"{path}/log/segments.json") as f:
-            return [(s["from"], s["to"], s["changes"]) for s in json.loads(f.read())["segments"]]
+        there = files.get_file_info(fs.FileSelector(f"{path}/log/segments", allow_not_found=True))
+        for name in sorted(x.path for x in there if x.base_name.endswith(".json") and not x.base_name.startswith(".")):
+            if name not in self.known:
+                with files.open_input_stream(name) as f:
+                    s = json.loads(f.read())
+                self.known[name] = (s["from"], s["to"], s["changes"])
+        return sorted(self.known.values())
 
     def initialOffset(self) -> dict:
         return {"lsn": 0}
