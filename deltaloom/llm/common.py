@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,17 +10,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step works on at a time; bounds its memory whatever the number of rows in an Arrow batch.
 SLICE_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share. Only where that is unset (a local
-    session, as in tests) is a local folder made and set."""
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share. Only where that is unset in a local
+    session, as in tests, is a local folder made and set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="deltaloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/deltaloom-{uuid.uuid4().hex}"
@@ -29,7 +33,32 @@ def written(df: DataFrame, spark: SparkSession) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors, is computed once."""
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes what :func:`written` wrote for frames that nothing reads any more."""
+    for frame in frames:
+        path = getattr(frame, "_written_to", None)
+        if path:
+            context = frame.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A digest of all columns; maps, which can't be hashed, as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(df[f.name])) if "map<" in f.dataType.simpleString() else df[f.name] for f in df.schema.fields])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def tasks(spark: SparkSession) -> int:
@@ -144,6 +173,14 @@ def pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return offsets - offsets[0], np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
 
 
+def split(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As :func:`pieces`, cut at Unicode white space."""
+    found = pc.utf8_split_whitespace(column.cast(pa.large_string()).fill_null(""))
+    offsets = np.asarray(found.offsets).astype(np.int64)
+    coded = found.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    return offsets - offsets[0], np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, .. (counts[0] of them), starts[1], .."""
     ends = np.cumsum(counts)
