@@ -141,23 +141,23 @@ def convert(arc: ArcRecord, refers_to: dict[str, str] | None = None) -> WarcReco
     return WarcRecord(headers, block)
 
 
-def read_warc(data: bytes) -> Iterator[WarcRecord]:
-    """The records of a WARC file, compressed record by record or not; digests are checked."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
-        if not lines[0].startswith("WARC/"):
+def read_warc(source: bytes | io.IOBase) -> Iterator[WarcRecord]:
+    """The records of a WARC file or stream, compressed record by record or not, one at a time; digests are checked."""
+    stream = io.BufferedReader(io.BytesIO(source) if isinstance(source, bytes) else source, 1 << 20)
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 18)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        start, n = end + 4, int(headers["Content-Length"])
-        record = WarcRecord(headers, data[start : start + n])
-        if len(record.block) != n or sha1(record.block) != headers["WARC-Block-Digest"]:
+        headers: dict[str, str] = {}
+        while (line := stream.readline()).strip():
+            name, _, value = line.decode("utf-8", "surrogateescape").rstrip("\r\n").partition(": ")
+            headers[name] = value
+        n = int(headers["Content-Length"])
+        record = WarcRecord(headers, stream.read(n))
+        if len(record.block) != n or sha1(record.block) != headers["WARC-Block-Digest"] or stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"{headers['WARC-Record-ID']} is damaged")
         yield record
-        at = start + n + 4
 
 
 DATE = "20260101000000"
@@ -183,8 +183,8 @@ def with_responses(pages: DataFrame, least: int = LEAST) -> DataFrame:
     tops = big.groupBy("digest").agg(F.max_by(F.struct("page_id", "url"), "page_id").alias("top"), F.count("*").alias("n"))
     tops = tops.where("n > 1 and top is not null").select("digest", F.col("top.page_id").alias("response_id"), F.col("top.url").alias("response_url"))
     again = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = rows.withColumn("digest", F.when(size >= least, F.sha1(F.col("html").cast("binary"))).otherwise(F.concat(F.lit("-"), F.col("page_id").cast("string"))))
-    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
+    keyed = rows.withColumn("digest", F.when(size >= least, F.sha1(F.col("html").cast("binary"))).otherwise(F.concat(F.lit("-"), F.coalesce("page_id", F.xxhash64("url", "html")).cast("string"))))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     return keyed.join(again, ["digest", "salt"], "left").select("page_id", "url", "html", "response_id", "response_url")
 
 
@@ -240,20 +240,19 @@ def read_archives(spark, files: list[str]) -> DataFrame:
         for batch in batches:
             for file in batch.column("file").to_pylist():
                 store, path = fs.FileSystem.from_uri(file)
+                rows: list[tuple] = []
                 with store.open_input_stream(path, compression=None) as f:
-                    data = f.read()
-                rows = []
-                for r in read_warc(data):
-                    kind = r.headers["WARC-Type"]
-                    if kind not in ("response", "revisit"):
-                        continue
-                    head, payload = split_http(r.block)
-                    page = re.search(rb"X-Page-Id: (-?\d+)\r\n", head)
-                    digest = base64.b32decode(r.headers["WARC-Payload-Digest"][5:]).hex()
-                    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"{r.headers['WARC-Record-ID']}: the payload has another digest")
-                    size = int(r.headers["WARC-Payload-Length"]) if kind == "revisit" else len(payload)
-                    rows.append((int(page[1]) if page else None, size, digest, kind, int(r.headers["WARC-Refers-To-Page-Id"]) if kind == "revisit" else None))
+                    for r in read_warc(f):
+                        kind = r.headers["WARC-Type"]
+                        if kind not in ("response", "revisit"):
+                            continue
+                        head, payload = split_http(r.block)
+                        page = re.search(rb"X-Page-Id: (-?\d+)\r\n", head)
+                        digest = base64.b32decode(r.headers["WARC-Payload-Digest"][5:]).hex()
+                        if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
+                            raise ValueError(f"{r.headers['WARC-Record-ID']}: the payload has another digest")
+                        size = int(r.headers["WARC-Payload-Length"]) if kind == "revisit" else len(payload)
+                        rows.append((int(page[1]) if page else None, size, digest, kind, int(r.headers["WARC-Refers-To-Page-Id"]) if kind == "revisit" else None))
                 if rows:
                     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names)
