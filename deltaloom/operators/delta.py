@@ -89,34 +89,58 @@ def net_projection(rows: DataFrame, identity: Sequence[str], columns: Sequence[s
     return kept.groupBy(F.col("__lsn").alias("lsn"), F.col("__xid").alias("xid"), *identity).agg(F.min("o").alias("ord"), F.max(F.when(F.col("w") < 0, row)).alias("before"), F.max(F.when(F.col("w") > 0, row)).alias("after"))
 
 
-def fold_groups(contributions: DataFrame, state: DataFrame, keys: Sequence[str], counters: Sequence[str], finish: dict[str, Column]) -> DataFrame:
-    """(lsn, xid, ord, keys.., before, after) of aggregate groups. ``contributions``: for each transaction and group the
-    signed changes of ``counters`` (the first is the group's rows); ``state``: the counters before the batch. Running
-    sums give every group as of every transaction; a group without rows does not exist. Only touched groups of the state
-    are read."""
-    touched = contributions.select(*keys).distinct()
-    same = [touched[k].eqNullSafe(state[k]) for k in keys]
-    prior = state.join(touched, same, "left_semi").select(*keys, *counters, F.lit(FIRST).cast("long").alias("lsn"), F.lit(None).cast("long").alias("xid"), F.lit(None).cast("int").alias("ord"))
-    moves = prior.unionByName(contributions.select(*keys, *counters, "lsn", "xid", "ord"))
-    run = Window.partitionBy(*keys).orderBy("lsn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    moves = moves.select(*keys, "lsn", "xid", "ord", *[F.sum(c).over(run).alias(c) for c in counters])
-    row = F.when(F.col(counters[0]) > 0, F.struct(*[c.alias(n) for n, c in finish.items()]))
-    at = Window.partitionBy(*keys).orderBy("lsn")
-    moves = moves.withColumn("after", row)
-    return moves.withColumn("before", F.lag("after").over(at)).where(F.col("lsn") > FIRST).select("lsn", "xid", "ord", *keys, "before", "after")
+def fold_groups(contributions: DataFrame, state: DataFrame, keys: Sequence[str], counters: Sequence[str], finish: Callable[[Callable[[str], Column]], dict[str, Column]], low: int, high: int, parts: int = 1) -> DataFrame:
+    """(lsn, xid, ord, keys.., before, after) of aggregate groups. ``contributions``: for each transaction in (low, high] and
+    group the signed changes of ``counters`` (the first is the group's rows); ``state``: the counters before the batch;
+    ``finish`` makes a row of the counters that it is given by name. Running sums give every group as of every
+    transaction; a group without rows does not exist. Only touched groups of the state are read. With several ``parts``
+    the positions are cut into as many stretches, whose sums are carried forward, so a view of few groups is more tasks
+    than groups."""
+    at = F.floor((F.col("lsn") - (low + 1)) * parts / max(1, high - low)).cast("int") if parts > 1 else F.lit(0)
+    moves = contributions.withColumn("__part", at)
+    if parts > 1:
+        earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = moves.groupBy(*keys, "__part").agg(*[F.sum(c).alias(c) for c in counters])
+        sums = sums.select(*keys, "__part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in counters])
+    else:
+        sums = moves.select(*keys, "__part", *[F.lit(0).alias(c) for c in counters]).distinct()
+    # Keys under other names on one side, as nulls are keys too and are compared as such.
+    prior = state.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[F.col(c).alias(f"__p_{c}") for c in counters])
+    base = sums.join(prior, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], "left")
+    base = base.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__part").alias("__k_part"), *[(F.coalesce(f"__p_{c}", F.lit(0)) + F.col(c)).alias(f"__b_{c}") for c in counters])
+    moves = moves.join(base, [*[F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], F.col("__part") == F.col("__k_part")])
+    run, kinds = Window.partitionBy(*keys, "__part").orderBy("lsn"), {f.name: f.dataType for f in prior.schema}
+    frames = {"before": run.rowsBetween(Window.unboundedPreceding, -1), "after": run.rowsBetween(Window.unboundedPreceding, Window.currentRow)}
+    moves = moves.withColumns({f"__{name}_{c}": (F.col(f"__b_{c}") + F.coalesce(F.sum(c).over(frame), F.lit(0))).cast(kinds[f"__p_{c}"]) for name, frame in frames.items() for c in counters})
+    rows = []
+    for name in frames:
+        made = finish(lambda c, n=name: F.col(f"__{n}_{c}"))
+        rows.append(F.when(F.col(f"__{name}_{counters[0]}") > 0, F.struct(*[c.alias(n) for n, c in made.items()])).alias(name))
+    return moves.select("lsn", "xid", "ord", *keys, *rows)
+
+
+def feed_rows(net: DataFrame, identity: Sequence[str], visible: Sequence[str]) -> DataFrame:
+    """(lsn, xid, ord, id, op, row) of net changes that can be seen."""
+    see = lambda c: F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{v}").alias(v) for v in visible]))
+    shown = net.where(~see("before").eqNullSafe(see("after")))
+    both = F.array(F.struct(F.lit("D").alias("op"), F.col("before").alias("row")), F.struct(F.lit("I").alias("op"), F.col("after").alias("row")))
+    return shown.select("lsn", "xid", "ord", F.struct(*identity).alias("id"), F.explode(F.filter(both, lambda x: x["row"].isNotNull())).alias("d")).select("lsn", "xid", "ord", "id", "d.op", "d.row")
 
 
 def feed(net: DataFrame, identity: Sequence[str], visible: Sequence[str], last: int) -> DataFrame:
     """(seq, lsn, xid, op, row) of net changes that can be seen, numbered on from ``last`` by transaction, first change
-    in it and identity, the row before ahead of that after. Only counts of transactions are summed over the whole."""
-    see = lambda c: F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{v}").alias(v) for v in visible]))
-    shown = net.where(~see("before").eqNullSafe(see("after")))
-    both = F.array(F.struct(F.lit("D").alias("op"), F.col("before").alias("row")), F.struct(F.lit("I").alias("op"), F.col("after").alias("row")))
-    rows = shown.select("lsn", "xid", "ord", F.struct(*identity).alias("id"), F.explode(F.filter(both, lambda x: x["row"].isNotNull())).alias("d")).select("lsn", "xid", "ord", "id", "d.op", "d.row")
-    order = Window.partitionBy("lsn").orderBy("ord", "id", "op")
-    counts = rows.groupBy("lsn").agg(F.count("*").alias("n"))
-    counts = counts.select("lsn", F.coalesce(F.sum("n").over(Window.orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_it"))
-    return rows.withColumn("k", F.row_number().over(order)).join(counts, "lsn").select((F.lit(last) + F.col("before_it") + F.col("k")).alias("seq"), "lsn", "xid", "op", "row")
+    in it and identity, the row before ahead of that after. For batches that a task can sort; see :func:`feed_parts`."""
+    order = Window.orderBy("lsn", "ord", "id", "op")
+    return feed_rows(net, identity, visible).select((F.lit(last) + F.row_number().over(order)).alias("seq"), "lsn", "xid", "op", "row")
+
+
+def feed_parts(net: DataFrame, identity: Sequence[str], visible: Sequence[str]) -> DataFrame:
+    """The rows of the feed in order, as (part, place, lsn, xid, op, row): ranges of the order are tasks of their own,
+    however many rows a transaction has. What is written of it is numbered by the sums of its parts' rows."""
+    order = ["lsn", "ord", "id", "op"]
+    rows = feed_rows(net, identity, visible).repartitionByRange(*order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()
+    return rows.select(F.shiftright(number, 33).cast("int").alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"), "lsn", "xid", "op", "row")
 
 
 def merged(state: DataFrame, net: DataFrame, identity: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -21,7 +21,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,8 @@ SETTINGS = {
     "poll_interval_ms": (100, 10, 60_000), "retain_deltas": (100_000, 1, 1 << 40), "max_pending_changes": (50_000_000, 1, 1 << 50), "max_apply_failures": (3, 1, 1000),
     "batch_changes": (5_000_000, 1, 1 << 40), "keep_seconds": (600, 0, 1 << 30), "views_at_once": (8, 1, 256), "bucket_bytes": (64 << 20, 1 << 10, 1 << 40), "compact_changes": (5_000_000, 1, 1 << 50),
 }
+#: Net changes that one task may sort; groups' running sums go in parts above it.
+ALONE, PARTS = 100_000, 64
 EMPTY = {"version": 0, "tables": {}, "views": {}, "shadows": {}, "offset": 0, "trash": []}
 
 
@@ -568,7 +570,7 @@ class Engine:
             columns, last = self._state_columns(spec), v["last_seq"]
             with ThreadPoolExecutor(2) as pool:
                 state = pool.submit(B.replaced, self.store, v["state"], D.merged(self._state(v, only), net, spec.identity, columns), only, "view")
-                deltas = self._write(D.feed(net, spec.identity, spec.visible, last), "deltas")
+                deltas = self._write_feed(net, spec, last)
                 v["state"] = self._taken(v["state"], *state.result())
             self._made.append(deltas)
             rows = self.spark.read.parquet(deltas).count()
@@ -583,6 +585,23 @@ class Engine:
             self._discard(d["path"])
             v["deltas"].remove(d)
 
+    def _write_feed(self, net: DataFrame, spec: ViewSpec, last: int) -> str:
+        """The folder of the net changes' feed. A batch of many rows is sorted in ranges, which are written and then
+        numbered by their counts; few rows are numbered at once."""
+        if net.count() <= ALONE:
+            return self._write(D.feed(net, spec.identity, spec.visible, last), "deltas")
+        path = self._write(D.feed_parts(net, spec.identity, spec.visible), "deltas")
+        self._made.append(path)
+        self._discard(path)
+        parts = self.spark.read.parquet(path)
+        counts = sorted((r["part"], r["count"]) for r in parts.groupBy("part").count().collect())  # a row a task
+        starts, at = [], last
+        for part, n in counts:
+            starts.append((part, at))
+            at += n
+        offsets = F.broadcast(self.spark.createDataFrame(starts, "part int, start long"))
+        return self._write(parts.join(offsets, "part").select((F.col("start") + F.col("place") + 1).alias("seq"), "lsn", "xid", "op", "row"), "deltas")
+
     def _histories(self, v: dict, spec: ViewSpec, upto: int) -> tuple[list[DataFrame | None], Callable[[int, int], DataFrame]]:
         """(signed changes of each relation of a view since its position, the versions of relation j that the changes of
         relation i can meet). Of j's shadow only the buckets with the join keys of i's changes are read, where it is
@@ -657,21 +676,23 @@ class Engine:
         aggregates = [i for i in spec.items if i.kind != "key"]
         nn = {i.name: f"{D.PREFIX}nn_{n}" for n, i in enumerate(aggregates) if i.kind == "sum"}
         total = next((i.name for i in aggregates if i.kind == "count"), f"{D.PREFIX}n")
-        prior, finish = {"__n": F.col(total)}, {k: F.col(k) for k in keys}
+        prior: dict[str, Column] = {"__n": F.col(total)}
+        held: dict[str, Callable] = {k: lambda of, k=k: F.col(k) for k in keys}
         for i in aggregates:
             if i.kind == "count":
-                finish[i.name] = F.col("__n")
+                held[i.name] = lambda of: of("__n")
             elif i.kind == "count_of":
                 prior[f"__c_{i.name}"] = F.col(i.name)
-                finish[i.name] = F.col(f"__c_{i.name}")
+                held[i.name] = lambda of, i=i: of(f"__c_{i.name}")
             else:
                 prior[f"__c_{i.name}"] = F.col(nn[i.name])
                 prior[f"__s_{i.name}"] = F.coalesce(F.col(i.name), F.lit(0)).cast(i.dtype)
-                finish[i.name] = F.when(F.col(f"__c_{i.name}") > 0, F.col(f"__s_{i.name}").cast(i.dtype))
+                held[i.name] = lambda of, i=i: F.when(of(f"__c_{i.name}") > 0, of(f"__s_{i.name}").cast(i.dtype))
         for n in hidden:
-            finish[n] = F.col("__n") if n == f"{D.PREFIX}n" else F.col(next(f"__c_{i}" for i, h in nn.items() if h == n))
-        finish = {c: finish[c] for c in columns}
-        return D.fold_groups(moves, state.select(*keys, *[c.alias(n) for n, c in prior.items()]), keys, list(counters), finish)
+            source = "__n" if n == f"{D.PREFIX}n" else next(f"__c_{i}" for i, h in nn.items() if h == n)
+            held[n] = lambda of, source=source: of(source)
+        parts = PARTS if self.log.pending(v["frontier"]) > ALONE else 1
+        return D.fold_groups(moves, state.select(*keys, *[c.alias(n) for n, c in prior.items()]), keys, list(counters), lambda of: {c: held[c](of) for c in columns}, v["frontier"], upto, parts)
 
     def _plain(self, r, after: int, upto: int) -> DataFrame:
         rows = self._changes(r.table, after, upto)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from deltaloom.streaming import engine
 from deltaloom.streaming.engine import Engine
 
 VIEWS = {
@@ -15,10 +16,11 @@ VIEWS = {
 }
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_views_follow_their_queries(spark, tmp_path, seed):
+@pytest.mark.parametrize("seed, alone, bucket_bytes", [(1, 100_000, 64 << 20), (2, 0, 1 << 10)])
+def test_views_follow_their_queries(spark, tmp_path, monkeypatch, seed, alone, bucket_bytes):
+    monkeypatch.setattr(engine, "ALONE", alone)  # 0: feeds and running sums in parts
     r = random.Random(seed)
-    e, rows = Engine(spark, str(tmp_path / "root")), {t: {} for t in "abc"}
+    e, rows = Engine(spark, str(tmp_path / "root"), bucket_bytes=bucket_bytes), {t: {} for t in "abc"}
     some = lambda i: {"id": i, "k": r.choice([0, 1, 2, 3, None]), "x": r.choice([0, 1, 2, 3, None])}
     for t in "abc":
         rows[t] = {i: some(i) for i in r.sample(range(5), 3)}
