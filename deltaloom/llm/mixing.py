@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tasks, written
+from .common import fresh, row_digest, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
-    order = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("within", F.sum("size").over(order))
     same = lambda a, b, *on: [a[c].eqNullSafe(b[c]) for c in on]
     rows = rows.join(sums, same(rows, sums, "source", "bucket"), "left").select(rows["*"], sums["before"])
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
     copies = copies.withColumn("finish", (F.col("upto") + F.col("copy") * F.col("source_size")) / F.col("target"))
     # All finish times up to 1 fit: every source is then at most at its target. Time goes by in buckets of a budget's
     # share; the budget ends in one of them.
-    width = max(1, n // per_bucket) * 16
+    width = max(16, 2 * (n // per_bucket))
     copies = copies.withColumn("slot", F.floor(F.col("finish") * width))
     slots = copies.groupBy("slot").agg(F.sum("size").alias("s"))
     run = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -98,8 +98,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, with all their columns, as often as the mix takes them. The copies are found
-    on narrow rows; texts are shuffled once, to be joined with their numbers. Documents without words are not taken."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("text").cast("string")))
-    copies = mix(keyed, carry=("_key",), **how).where("taken > 0").groupBy("_key").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"))
-    once = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))).where("_nth = 1")
-    return once.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    on narrow rows; texts are shuffled once, to be joined with their numbers. Rows are known by their id and a digest of
+    all columns, so rows that share one are alike; they are summed up before they are shuffled. Documents without words
+    are not taken."""
+    row, key, copies = fresh(docs, "row"), fresh(docs, "key"), fresh(docs, "copies")
+    doc_id = docs["doc_id"].cast("long")
+    narrow = docs.select(doc_id.alias("doc_id"), docs["source"].cast("string").alias("source"), docs["text"].cast("string").alias("text"), row_digest(docs).alias("mark"))
+    taken = mix(narrow, carry=("mark",), **how).where("taken > 0").groupBy(F.coalesce("doc_id", F.lit(0)).alias(key), F.col("mark").alias(f"{key}_mark")).agg(F.sum(F.expr("taken div size")).cast("int").alias(copies))
+    once = docs.select(F.coalesce(doc_id, F.lit(0)).alias(key), row_digest(docs).alias(f"{key}_mark"), F.struct(*[docs[c] for c in docs.columns]).alias(row))
+    once = once.groupBy(key, f"{key}_mark").agg(F.first(row).alias(row))
+    return once.join(taken, [key, f"{key}_mark"]).select(row, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).select(f"{row}.*")
