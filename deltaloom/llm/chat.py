@@ -3,7 +3,8 @@
 A template is any function from a list of (role, text) turns to a string. It is called with one turn more each time; if
 the new output begins with the old one, the rest is the span of the new turn, and the turn's text is looked up in that
 span. A template whose new output does not begin with the old one rewrites history; that is reported, and its
-conversations have no spans. Since it is only called and never looked into, the located spans hold for any template.
+conversations have no spans. Since it is only called and never looked into, the located spans hold for any template, and
+every prefix of every conversation is rendered: the time grows with the square of a conversation's turns.
 
 The built-in template marks turns and escapes the control strings of common chat formats in texts: a backslash goes
 behind the first character of each, one more if there are some already, so the escape can be undone exactly and no
@@ -15,6 +16,7 @@ repeated rows are turns of their own; a null conversation id is a conversation;
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -32,6 +34,7 @@ _PLAIN = re.compile(rf"([<\[])(\\*)(?=(?:{_RESTS}))")
 _ESCAPED = re.compile(rf"([<\[])\\(\\*)(?=(?:{_RESTS}))")
 
 
+@functools.lru_cache(1 << 12)
 def escape(text: str) -> str:
     return _PLAIN.sub(r"\1\\\2", text)
 
@@ -71,22 +74,11 @@ def text_span(output: str, span: tuple[int, int], shown: str) -> tuple[int, int]
     return (at, at + len(shown)) if at >= 0 else (span[0], span[0])
 
 
-def conversation(render: Callable[[list[Turn]], str], turns: list[Turn], learn: str = "assistant", stretch: int = 64) -> tuple[str, list[tuple[int, int]], bool]:
-    """(output, loss spans, rewrote history). Prefixes are rendered within stretches of turns if the template gives for
-    a stretch what it adds for it in the whole, which is compared; so a long conversation is not rendered over and over."""
-    output, spans, rewrites = "", [], False
-    parts = [turns[i : i + stretch] for i in range(0, len(turns), stretch)]
-    if len(parts) > 1:
-        whole = render(turns)
-        if "".join(map(render, parts)) != whole:
-            parts = [turns]
-    for part in parts:
-        out, own, bad = locate(render, part)
-        rewrites |= bad
-        spans += [(a + len(output), b + len(output)) for a, b in own]
-        output += out
+def conversation(render: Callable[[list[Turn]], str], turns: list[Turn], learn: str = "assistant") -> tuple[str, list[tuple[int, int]], bool]:
+    """(output, loss spans, rewrote history)."""
+    output, spans, rewrites = locate(render, turns)
     if rewrites:
-        return render(turns), [], True
+        return output, [], True
     loss = [text_span(output, s, escape(t)) for (r, t), s in zip(turns, spans, strict=True) if r == learn]
     return output, loss, False
 
