@@ -22,7 +22,7 @@ def test_stages(spark, tmp_path):
     groups = ngram_join.join(clean)
     assert single.count() == groups.select("class_id").distinct().count()
     assert ngram_join.join(single).where("n_links > 0").count() == 0
-    removed = {r["doc_id"]: r for r in repeats.repeats(single).collect()}
+    removed = {r["doc_id"]: r for r in repeats.repeats(single, **corpus_pipeline.PASSAGES).collect()}
     texts = {r["doc_id"]: r["text"] for r in cut.collect()}
     assert len(texts) == single.count()
     assert all(hashlib.sha256(texts[i].encode()).hexdigest() == r["kept_sha256"] for i, r in removed.items() if r["n_removed"] == 0)

@@ -55,9 +55,19 @@ def sets(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_ngram_join(spark, monkeypatch, block):
-    monkeypatch.setattr(ngram_join.placed, "__defaults__", (block,))
+def test_ngram_join_of_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " q"), (3, b + " q"), (4, a + " r"), (1, a)]
+    got = sorted(tuple(r) for r in ngram_join.join(frame(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 1, 1), (4, 1, 3)]
+    df = frame(spark, rows).withColumnsRenamed({"lang": "_n", "n_chars": "_first"}).selectExpr("*", "1 AS key", "'m' AS mark", "2 AS row", "3 AS klass", "4 AS root")
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["text"], r["key"], r["mark"]) for r in kept.collect()) == [(1, a, 1, "m"), (1, b, 1, "m")]
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_ngram_join(spark, block):
     rows = corpus()
     known = [(i, sets(t)) for i, t in rows if i is not None]
     links, root = collections.Counter(), list(range(len(known)))
@@ -79,7 +89,7 @@ def test_ngram_join(spark, monkeypatch, block):
     for a, (i, _) in enumerate(known):
         least[find(a)].append(i)
     want = sorted((i, min(least[find(a)]), links[a]) for a, (i, _) in enumerate(known))
-    got = [tuple(r) for r in ngram_join.join(frame(spark, rows)).collect()]
+    got = [tuple(r) for r in ngram_join.join(frame(spark, rows), block).collect()]
     assert sorted(x for x in got if x[0] is not None) == want
     assert [x for x in got if x[0] is None] == [(None, None, 0)]
     assert sum(n for _, _, n in want) > 20
@@ -110,9 +120,17 @@ def test_mixing(spark):
         assert goal <= 3 * size + 1e-9 and abs(n - goal) <= longest
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(2), per_bucket=1000).collect()), key=str)
     assert mixing.mix(df.limit(0)).collect() == []
-    copies = mixing.mixed(df).collect()
+    # The mix has each row with its own values, as often as it is taken.
+    more = df.selectExpr("*", "1 AS key", "'c' AS copies", "cast(null as int) AS row", "map(1, 2) AS m", "3 AS mark")
+    made = mixing.mixed(more)
+    copies = made.collect()
+    assert made.columns == more.columns and {(r["_key"], r["key"], r["copies"], r["row"], r["mark"], r["m"][1]) for r in copies} == {("x", 1, "c", None, 3, 2)}
     assert sum(len((r["text"] or "").split()) for r in copies) == sum(r["taken"] for r in got)
-    assert mixing.mixed(df).columns == df.columns
+    of = lambda r: (r["doc_id"], r["source"], r["text"])
+    assert {of(r) for r in copies} <= {of(r) for r in df.collect()}
+    # Rows alike but for one column keep it.
+    two = spark.createDataFrame([(1, "a b c", "s", "A"), (1, "a b c", "s", "B")], "doc_id long, text string, source string, _key string")
+    assert sorted(r["_key"] for r in mixing.mixed(two).collect()) == ["A", "B"]
 
 
 def test_targets_are_filled_level(spark):
@@ -133,11 +151,21 @@ def test_toxicity(spark):
             t.insert(r.randrange(len(t)), r.choice(["Stupido,", "idiotu", "trashka"]))
         rows.append((i, " ".join(t)))
         labels.append((i, 1, toxic))
-    docs = frame(spark, [*rows, (5000, None), (5001, ""), (None, "x")])
+    odd = [f"stupido,{c}idiotu{c}trashka{c}stupido" for c in "\u00a0\u3000\u0085\u2028\x1c\n"]
+    odd_rows = [(6000 + k, t) for k, t in enumerate(odd)]
+    docs = frame(spark, [*rows, (5000, None), (5001, ""), (None, "x"), *odd_rows])
     marked = spark.createDataFrame([*labels, (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     model = toxicity.learn(docs, marked)
     got = {x["doc_id"]: x for x in toxicity.score(docs, model).collect()}
-    assert len(got) == 1203
+    assert len(got) == 1203 + len(odd)
+    # Other white space than ASCII ends words too, for the score as for the stage.
+    assert all(got[i]["predicted"] == 1 for i, _ in odd_rows)
+    # Against plain loops over the same model: tokens, segments, evidence and curve.
+    for i, t in [*rows[:200], *odd_rows]:
+        s = np.array([model.token(p) for p in t.split()])
+        best, total, n = toxicity.evidence(model, s)
+        z = model.curve[0] + model.curve[1] * np.log1p(best) + model.curve[2] * np.log1p(total)
+        assert abs(got[i]["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and got[i]["segments"] == n
     held = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
     assert all(got[i]["held_out"] == (i in set(held)) for i, _, _ in labels)
     right = sum(got[i]["predicted"] == labels[i][2] for i in held) / len(held)
@@ -165,30 +193,53 @@ def test_segments_are_maximal():
         assert [x[2] for x in toxicity.segments(s)] == pytest.approx(brute(0, len(s)))
 
 
-@pytest.mark.parametrize("share", [2000, 2])
-def test_repeats(spark, monkeypatch, share):
-    monkeypatch.setattr(repeats, "SHARE", share)
-    rows, n = corpus(2), repeats.LENGTH
+@pytest.mark.parametrize("share, n, words", [(8192, 400, 0), (1, 400, 0), (8192, 150, 40)])
+def test_repeats(spark, share, n, words):
+    how = {"share": share, "length": n, "words": words}
+    rows = corpus(2)
+    rows += [(910, rows[20][1])] * 6 + [(None, rows[3][1])]
     seen = collections.Counter()
-    raw = [(i, (t or "").encode()) for i, t in rows]
-    for _, b in raw:
+    raw = [(i, t, (t or "").encode()) for i, t in rows]
+    for _, _, b in raw:
         seen.update(b[p : p + n] for p in range(len(b) - n + 1))
-    want = collections.Counter()
-    for i, b in raw:
+    want, texts = collections.Counter(), collections.Counter()
+    for i, _, b in raw:
         covered = bytearray(len(b))
         for p in range(len(b) - n + 1):
             if seen[b[p : p + n]] > 1:
                 covered[p : p + n] = b"\1" * n
+        for m in re.finditer(b"\1+", bytes(covered)):
+            if len(b[m.start() : m.end()].split()) < words:
+                covered[m.start() : m.end()] = bytes(m.end() - m.start())
         kept = bytes(x for x, c in zip(b, covered, strict=True) if not c)
+        edges = [0, *(k for k in range(1, len(b)) if covered[k] != covered[k - 1]), len(b)]
+        parts = [b[x:y] for x, y in zip(edges, edges[1:], strict=False) if x < y and not covered[x]]
         spans = sum(1 for k in range(len(b)) if covered[k] and (k == 0 or not covered[k - 1]))
         want[i, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()] += 1
-    df = frame(spark, rows).drop("_key")
-    assert collections.Counter(map(tuple, repeats.repeats(df).collect())) == want
-    cut = repeats.without_repeats(df)
-    assert cut.columns == df.columns and cut.count() == len(rows)
+        texts[i, "".join(x.decode("utf-8", "ignore") for x in parts)] += 1
+    # Columns with the operator's own names are left alone.
+    df = frame(spark, rows).selectExpr("*", "1 AS phrases", "2 AS partial", "3 AS _id", "4 AS _mark", "5 AS cuts", "6 AS new", "7 AS row")
+    assert collections.Counter(map(tuple, repeats.repeats(df, **how).collect())) == want
+    cut = repeats.without_repeats(df, **how)
+    assert cut.columns == df.columns
+    got = cut.collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == texts
+    assert {(r["_key"], r["phrases"], r["partial"], r["_id"], r["_mark"], r["cuts"], r["new"], r["row"]) for r in got} == {("x", 1, 2, 3, 4, 5, 6, 7)}
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert repeats.repeats(df.limit(0)).collect() == []
 
 
+def test_suffix_order_is_the_strings_order():
+    r = np.random.default_rng(1)
+    raw = r.integers(97, 99, 3000).astype(np.uint8)
+    raw[1000:2000] = raw[:1000]
+    at = np.arange(0, 3000 - 400 + 1)
+    order = repeats.suffix_order(raw, at)
+    strings = [raw[p : p + 400].tobytes() for p in at.tolist()]
+    places = {x: k for k, x in enumerate(sorted(set(strings)))}
+    assert order.tolist() == [places[x] for x in strings] and len(places) < len(strings)
+
+
 def test_phrases_cover_each_window_once():
     r = np.random.default_rng(0)
     raw = r.integers(97, 99, 5000).astype(np.uint8)
@@ -325,6 +376,8 @@ def test_chat(spark):
     assert got[4]["loss_sha256"] == digest("".join(f"t{i}" for i in range(1, 150, 2)))
     rewriting = lambda turns: f"{len(turns)} turns: " + chat.template(turns)
     assert chat.conversation(rewriting, [("user", "a"), ("assistant", "b")])[2]
+    late = lambda turns: ("early " if 70 <= len(turns) < 80 else "") + chat.template(turns)
+    assert chat.conversation(late, [("user", "a"), ("assistant", "b")] * 50)[2]
     assert chat.digests(chat.formatted(df.limit(0))).collect() == []
 
 
@@ -333,12 +386,14 @@ def test_top_k(spark):
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(400)]
     rows += [(i, rows[7][1]) for i in range(400, 440)] + [(500, None), (501, [1.0, None]), (502, [float("nan")] * 8), (600, [1.0, 2.0]), (601, [0.5, 0.5]), (700, []), (701, []), (800, [0.0] * 8), (5, [float("inf")] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [tuple(x) for x in topk.top_k(df, candidates=64, queries=2).collect()]
+    rows += [(200, rows[200][1]), (31, rows[31][1]), (31, rows[31][1]), (31, rows[32][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(x) for x in topk.top_k(df, candidates=64).collect()]
+    assert sorted(got) == sorted(tuple(x) for x in topk.top_k(df).collect())
     clean = [(i, np.floor(1024 * np.array(e, np.float32).astype(float)).astype(int)) for i, e in rows if e is not None and None not in e and np.isfinite(e).all()]
     want = []
-    for q, v in clean:
-        if q % 100 == 0:
-            best = sorted((-int(v @ w), i) for i, w in clean if i != q and len(w) == len(v))[:10]
-            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    for q in {i for i, _ in clean if i % 100 == 0}:
+        best = sorted((-int(v @ w), i) for j, v in clean if j == q for i, w in clean if i != q and len(w) == len(v))[:10]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert sorted(got) == sorted(want)
     assert topk.top_k(df.limit(0)).collect() == []
