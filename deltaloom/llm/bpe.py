@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 
 from .common import pieces, ragged, slices
 
-#: Entries that a worker keeps in each of its memories; when one is full it is emptied.
-MEMORY = 1 << 20
+#: Entries that a worker keeps in each of its memories, about 40 MB each; when one is full it is emptied.
+MEMORY = 1 << 18
+#: Bytes of text that are split and encoded at a time.
+SLICE = 1 << 20
 
 
 class Bpe:
@@ -206,7 +208,7 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         memory: dict[str, tuple[int, bytes, bytes]] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             offsets, index, distinct = pieces(batch.column("text"))
             if len(memory) > MEMORY // 4:
                 memory.clear()
@@ -233,7 +235,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         memory: dict[str, tuple[bytes, bytes]] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             offsets, index, distinct = pieces(batch.column("text"))
             if len(memory) > MEMORY // 4:
                 memory.clear()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -65,8 +66,18 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy() -> None:
+    """Gives unused memory back to the system: workers live on after a task, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` (string or binary) has about ``limit`` bytes in each; a longer value stays whole."""
+    tidy()
     for batch in batches:
         lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
         at = 0
@@ -76,6 +87,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        tidy()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
