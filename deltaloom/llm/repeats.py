@@ -4,19 +4,23 @@ Every ``length``-byte string (a window) that occurs anywhere twice is found, and
 cut out. Matches never cross documents.
 
 Parsing. A rolling hash over ``core`` bytes triggers phrases: the trigger of a window is the place in it with the least
-hash, so equal windows have equal triggers at equal places. Consecutive windows with one trigger make one phrase, from
-the first byte of the first to the last byte of the last; phrases overlap by a window less one byte, so that each window
-lies whole in exactly one. A text is its sequence of phrases (the parse); distinct phrases are the dictionary.
-
-Combining. A phrase that the parse has twice repeats as a whole, and its bytes are looked at no more: this is all that
-happens to whole copies and to the inside of long shared passages. A trigger that occurs once has no repeats. What is
-left are the windows of different phrases with the same trigger, that is the edges of repeats. Their suffixes in the
-dictionary are put in order, and neighbours that agree over ``length`` bytes repeat. The order is that of 64-bit
-fingerprints of those bytes, not of their letters: only agreement is asked for, and fingerprints need no text in the
-shuffle. Phrases of a trigger that very many share are dealt to several tasks by fingerprint, so none gets too many.
+hash, so equal windows have equal triggers at equal places, and no window is without one. Consecutive windows with one
+trigger make one phrase, from the first byte of the first to the last byte of the last; phrases overlap by a window less
+one byte, so that each window lies whole in exactly one. A text is its sequence of phrases (the parse); distinct phrases
+are the dictionary.
+
+Combining. The corpus order of all windows is that of the dictionary's suffixes, each as often as the parse has its phrase:
+as windows never reach beyond their phrase, suffixes of the parse are told apart by their first phrase, and counts of
+phrases are the parse's suffix array to that depth. A phrase that the parse has twice repeats as a whole, and is looked
+at no more than once: this is all that happens to whole copies and to the inside of long shared passages. A trigger that
+occurs once has no repeats. What is left are different phrases with one trigger, that is the edges of repeats: the
+suffix array of these phrases, by prefix doubling on their bytes up to ``length``, puts their windows in order, and
+neighbours with a common prefix of ``length`` bytes repeat.
 
 Only numbers are shuffled for all texts; texts are shuffled once to be joined with their repeated phrases, and only texts
-that have any are kept for what follows.
+that have any are kept for what follows. Counts are summed up before they are shuffled. The phrases of a trigger with more
+than ``SHARE`` different ones, which may be any number, are not gathered in one task: their windows are counted by 128-bit
+digests instead.
 
 Defined results: a null text is empty; texts shorter than ``length`` bytes lose nothing; a row that occurs twice counts
 twice, so it repeats itself; a null id is an id like others; after a cut in the middle of a character its remaining bytes
@@ -30,14 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNBASE, mix64, powers, prefix_hash, slices, tasks, utf8, written
+from .common import UNBASE, forget, fresh, mix64, powers, prefix_hash, ragged, slices, tasks, utf8, written
 
 LENGTH, CORE = 400, 128
-#: Phrases of one trigger that a task takes at a time.
-SHARE = 2000
+#: Different phrases of a trigger that a task may gather.
+SHARE = 8192
+#: Bytes of phrases that one suffix array is made of, about.
+ARRAY = 1 << 20
 _CHUNK = 8 << 20
 
 
@@ -93,109 +99,154 @@ def _parse(raw: np.ndarray, offsets: np.ndarray, whole: np.ndarray, shift: int,
     return row, first + shift - whole[row], windows, hashes[trigger[first]], phrase
 
 
-def fingerprints(raw: np.ndarray, starts: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The fingerprints of the windows of phrases of one text, one after the other."""
-    from .common import ragged
-
+def suffix_order(raw: np.ndarray, wanted: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The places of the ``length``-byte strings at ``wanted`` in their sorted order; equal strings have equal places.
+    Prefix doubling: the order by 8 bytes, then by twice as many, from the order of both halves."""
+    n = len(raw)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for j in range(8):
+        key = key << np.uint64(8) | padded[j : j + n]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+    width = 8
+    while 2 * width <= length:
+        behind = np.zeros(n, np.uint64)
+        behind[: n - width] = rank[width:]
+        rank = np.unique(rank << np.uint64(32) | behind, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+        width *= 2
+    return np.unique(rank[wanted] << np.uint64(32) | rank[wanted + (length - width)], return_inverse=True)[1]
+
+
+def digests(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of the strings at some places of a text."""
+    back = powers(len(raw) + 1, UNBASE, "unbase")[at]
     sums = prefix_hash(raw)
-    at = ragged(starts, windows)
-    return mix64((sums[at + length] - sums[at]) * powers(len(raw) + 1, UNBASE, "unbase")[at])
+    one = mix64((sums[at + length] - sums[at]) * back)
+    sums = prefix_hash(raw ^ np.uint8(0x5A))
+    return one, mix64((sums[at + length] - sums[at]) * back + one)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.withColumn("text", text).withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
+KEY = ["_id", "_mark"]
 
 
-def repeated_phrases(docs: DataFrame) -> DataFrame:
-    """(_key, phrases): of each text that has any, the phrases that repeat as a whole or may in part, as structs of first
-    window, number of windows, whether the whole repeats, whether others of its trigger must be compared, trigger, and
-    the number of tasks that its trigger is dealt to."""
+def _key(docs: DataFrame) -> list[Column]:
+    """What a row's text is known by: its id, and a digest of id and text. Rows that repeat have one key."""
+    doc_id = docs["doc_id"].cast("long")
+    return [F.coalesce(doc_id, F.lit(0)).alias("_id"), F.xxhash64(doc_id.cast("string"), _text(docs)).alias("_mark")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            raw, offsets = utf8(batch.column("text"))
-            row, first, windows, trigger, phrase = parse(raw, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(row)), pa.array(first), pa.array(windows.astype(np.int32)), pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64))], ["_key", "first", "windows", "trigger", "phrase"])
 
-    found = docs.where(F.octet_length("text") >= LENGTH).select("_key", "text").mapInArrow(run, "_key long, first long, windows int, trigger long, phrase long")
-    # Counts are summed up before they are shuffled, and joined back on trigger and phrase, a join whose large parts Spark
-    # splits: a phrase that fills a third of all text is no single task's.
-    per_phrase = found.groupBy("trigger", "phrase").agg(F.count("*").alias("same"), F.min(F.struct("_key", "first")).alias("least"))
-    per_trigger = per_phrase.groupBy("trigger").agg(F.count("*").alias("distinct"))
-    known = per_phrase.join(per_trigger, "trigger").where("same > 1 or distinct > 1")
-    found = found.join(known, ["trigger", "phrase"]).withColumn("nth", F.when(F.struct("_key", "first") == F.col("least"), 1).otherwise(2))
-    item = F.struct("first", "windows", (F.col("same") > 1).alias("whole"), ((F.col("distinct") > 1) & (F.col("nth") == 1)).alias("compare"), "trigger", F.ceil(F.col("distinct") / SHARE).cast("int").alias("parts"))
-    return found.groupBy("_key").agg(F.collect_list(item).alias("phrases"))
+def _text(docs: DataFrame) -> Column:
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
-def partial_repeats(texts: DataFrame) -> DataFrame:
-    """(_key, first, places): which windows of a phrase that doesn't repeat as a whole occur elsewhere, as packed u16."""
-    spark = texts.sparkSession
+def repeated_phrases(docs: DataFrame, share: int, length: int) -> DataFrame:
+    """(key.., phrases): of each text that has any, the phrases that repeat as a whole or may in part, as structs of first
+    window, number of windows, trigger, whether the whole repeats, whether others of its trigger must be compared, and
+    whether these are too many for a task."""
+    core = length * CORE // LENGTH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            raw, offsets = utf8(batch.column("text"))
+            row, first, windows, trigger, phrase = parse(raw, offsets, length, core)
+            keys = [batch.column(c).take(pa.array(row)) for c in KEY]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(first), pa.array(windows.astype(np.int32)), pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64))], [*KEY, "first", "windows", "trigger", "phrase"])
+
+    rows = docs.select(*_key(docs), _text(docs).alias("text")).where(F.octet_length("text") >= length)
+    found = written(rows.mapInArrow(run, "_id long, _mark long, first long, windows int, trigger long, phrase long"), docs.sparkSession)
+    # Joins with sums that are written, so that Spark can split their large parts: a phrase that fills a third of all text
+    # is no single task's.
+    spark = docs.sparkSession
+    again = found.groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b")).where("n > 1").select("trigger", (F.col("a") < F.col("b")).alias("several"))
+    some = written(found.join(written(again, spark), "trigger"), spark)
+    forget(found)
+    at = F.struct(*KEY, "first")
+    per_phrase = some.groupBy("trigger", "phrase", "several").agg(F.count("*").alias("same"), F.min(at).alias("least"))
+    per_trigger = per_phrase.where("several").groupBy("trigger").agg((F.count("*") > share).alias("hot"))
+    known = per_phrase.join(per_trigger, "trigger", "left").where("same > 1 or several").drop("several")
+    some = some.drop("several").join(written(known, spark), ["trigger", "phrase"]).groupBy(*KEY, "first", "windows", "trigger").agg(F.max(F.struct("same", F.col("hot").isNotNull().alias("several"), F.coalesce("hot", F.lit(False)).alias("hot"), (at == F.col("least")).alias("least"))).alias("p"))
+    item = F.struct("first", "windows", "trigger", (F.col("p.same") > 1).alias("whole"), (F.col("p.several") & F.col("p.least")).alias("compare"), F.col("p.hot").alias("hot"))
+    return some.groupBy(*KEY).agg(F.collect_list(item).alias("phrases"))
+
+
+def partial_repeats(texts: DataFrame, length: int) -> DataFrame:
+    """(key.., first, places): which windows of a phrase that doesn't repeat as a whole occur elsewhere, from the suffix
+    arrays of phrases with one trigger."""
+    names = ["trigger", *KEY, "first", "whole", "body"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["trigger", "part", "_key", "first", "whole", "places", "prints"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
         for batch in slices(batches, "text"):
             out: list[tuple] = []
-            for key, text, phrases in zip(batch.column("_key").to_pylist(), batch.column("text"), batch.column("phrases").to_pylist(), strict=True):
-                wanted = {p["first"]: p for p in phrases if p["compare"]}
-                if not wanted:
-                    continue
-                items = list(wanted.values())
-                windows = np.array([p["windows"] for p in items], np.int64)
-                prints = fingerprints(np.frombuffer(text.as_buffer(), np.uint8), np.array([p["first"] for p in items], np.int64), windows)
-                at = 0
-                for p, n in zip(items, windows.tolist(), strict=True):
-                    own, at = prints[at : at + n], at + n
-                    part = (own % np.uint64(p["parts"])).astype(np.int32)
-                    for k in range(p["parts"]):
-                        places = np.flatnonzero(part == k)
-                        if len(places):
-                            out.append((p["trigger"], k, key, p["first"], p["whole"], places.astype("<u2").tobytes() if p["parts"] > 1 else b"", own[places].tobytes()))
+            for one, two, text, phrases in zip(*(batch.column(c).to_pylist() for c in KEY), batch.column("text"), batch.column("phrases").to_pylist(), strict=True):
+                raw = memoryview(text.as_buffer())
+                out += [(p["trigger"], one, two, p["first"], p["whole"], raw[p["first"] : p["first"] + p["windows"] - 1 + length]) for p in phrases if p["compare"] and not p["hot"]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    rows = texts.mapInArrow(give, "trigger long, part int, _key long, first long, whole boolean, places binary, prints binary")
-    rows = rows.repartition(tasks(spark), "trigger", "part").sortWithinPartitions("trigger", "part")
+    rows = texts.mapInArrow(give, "trigger long, _id long, _mark long, first long, whole boolean, body binary")
+    rows = rows.repartition(tasks(texts.sparkSession), "trigger").sortWithinPartitions("trigger")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
+        now, held, size, out = None, [], 0, []
 
         def close() -> None:
+            """Windows that agree have one trigger, so one array can hold the phrases of several."""
             if len(held) > 1:
-                prints = np.frombuffer(b"".join(h[4] for h in held), np.uint64)
-                order = np.argsort(prints, kind="stable")  # the dictionary's suffixes in order
-                agree = prints[order[1:]] == prints[order[:-1]]
-                twice = np.zeros(len(prints), bool)
-                twice[order[1:]] |= agree
-                twice[order[:-1]] |= agree
-                at = 0
-                for key, first, whole, places, own in held:
-                    n = len(own) // 8
-                    hit = np.flatnonzero(twice[at : at + n])
-                    at += n
-                    if len(hit) and not whole:
-                        out.append((key, first, (np.frombuffer(places, "<u2")[hit] if places else hit).astype("<u2").tobytes()))
+                raw = np.frombuffer(b"".join(h[4] for h in held), np.uint8)
+                sizes = np.array([len(h[4]) for h in held], np.int64)
+                windows = sizes - length + 1
+                order = suffix_order(raw, ragged(np.cumsum(sizes) - sizes, windows), length)
+                twice = np.bincount(order)[order] > 1
+                ends = np.cumsum(windows)
+                for (one, two, first, whole, _), a, b in zip(held, (ends - windows).tolist(), ends.tolist(), strict=True):
+                    if not whole and twice[a:b].any():
+                        out.append((one, two, first, np.flatnonzero(twice[a:b]).astype(np.int16)))
             held.clear()
 
         def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["_key", "first", "places"])
+            counts = np.cumsum([0, *(len(x[3]) for x in out)]).astype(np.int32)
+            places = np.concatenate([np.zeros(0, np.int16), *(x[3] for x in out)])
+            made = pa.RecordBatch.from_arrays([*[pa.array([x[i] for x in out], pa.int64()) for i in range(3)], pa.ListArray.from_arrays(pa.array(counts), pa.array(places))], [*KEY, "first", "places"])
             out.clear()
             return made
 
-        for batch in batches:
-            for trigger, part, *rest in zip(*(batch.column(c).to_pylist() for c in ("trigger", "part", "_key", "first", "whole", "places", "prints")), strict=True):
-                if (trigger, part) != now:
-                    close()
-                    now = (trigger, part)
+        for batch in batches:  # sorted by trigger
+            for trigger, *rest in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if trigger != now:
+                    if size >= ARRAY:
+                        close()
+                        size = 0
+                    now = trigger
                 held.append(rest)
+                size += len(rest[4])
             if len(out) > 20_000:
                 yield batch_of()
         close()
         yield batch_of()
 
-    return rows.mapInArrow(compare, "_key long, first long, places binary")
+    return rows.mapInArrow(compare, "_id long, _mark long, first long, places array<smallint>")
+
+
+def hot_repeats(texts: DataFrame, length: int) -> DataFrame:
+    """As :func:`partial_repeats`, of triggers with any number of phrases: windows are counted by their digests."""
+    names = [*KEY, "first", "place", "whole", "one", "two"]
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for one, two, text, phrases in zip(*(batch.column(c).to_pylist() for c in KEY), batch.column("text"), batch.column("phrases").to_pylist(), strict=True):
+                items = [p for p in phrases if p["compare"] and p["hot"]]
+                if items:
+                    first, windows = (np.array([p[c] for p in items], np.int64) for c in ("first", "windows"))
+                    at, n = ragged(first, windows), int(windows.sum())
+                    pair = digests(np.frombuffer(text.as_buffer(), np.uint8), at, length)
+                    own = np.repeat(first, windows)
+                    whole = np.repeat(np.array([p["whole"] for p in items]), windows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, one)), pa.array(np.full(n, two)), pa.array(own), pa.array((at - own).astype(np.int16)), pa.array(whole), *[pa.array(x.view(np.int64)) for x in pair]], names)
+
+    rows = written(texts.where(F.exists("phrases", lambda p: p["hot"] & p["compare"])).mapInArrow(give, "_id long, _mark long, first long, place smallint, whole boolean, one long, two long"), texts.sparkSession)
+    again = rows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+    return rows.where("not whole").join(again, ["one", "two"]).groupBy(*KEY, "first").agg(F.collect_list("place").alias("places"))
 
 
 def cut_spans(n: int, phrases: list[dict], partial: list[dict] | None, length: int = LENGTH) -> np.ndarray:
@@ -206,7 +257,7 @@ def cut_spans(n: int, phrases: list[dict], partial: list[dict] | None, length: i
             edge[p["first"]] += 1
             edge[p["first"] + p["windows"] - 1 + length] -= 1
     for p in partial or ():
-        at = p["first"] + np.frombuffer(p["places"], "<u2").astype(np.int64)
+        at = p["first"] + np.array(p["places"], np.int64)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + length, -1)
     covered = np.zeros(n + 2, np.int8)
@@ -215,64 +266,71 @@ def cut_spans(n: int, phrases: list[dict], partial: list[dict] | None, length: i
     return turns.reshape(-1, 2)
 
 
-def _with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts with repeated phrases, all their columns and what is to be cut; all keyed rows of ``docs``)."""
+def spans(docs: DataFrame, share: int = SHARE, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """(key.., n_removed, cuts, kept_sha256) of each text that has repeats; cuts: flat array of [from, to) byte places.
+    ``words``: runs of fewer words than that are left alone."""
     spark = docs.sparkSession
-    keyed = _keyed(docs)
-    texts = written(keyed.join(repeated_phrases(keyed), "_key"), spark)
-    partial = partial_repeats(texts.select("_key", "text", "phrases"))
-    partial = partial.groupBy("_key").agg(F.collect_list(F.struct("first", "places")).alias("partial"))
-    return texts.join(partial, "_key", "left"), keyed
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    found, keyed = _with_spans(docs)
-    names = ["_key", "n_removed", "n_spans", "kept_sha256"]
+    once = docs.select(*_key(docs), _text(docs).alias("text")).groupBy(*KEY).agg(F.first("text").alias("text"))
+    texts = written(once.join(repeated_phrases(docs, share, length), KEY), spark)
+    partial = partial_repeats(texts.where(F.exists("phrases", lambda p: p["compare"] & ~p["hot"])), length)
+    if texts.where(F.exists("phrases", lambda p: p["compare"] & p["hot"])).limit(1).count():
+        partial = partial.unionByName(hot_repeats(texts, length))
+    partial = partial.groupBy(*KEY).agg(F.collect_list(F.struct("first", "places")).alias("partial"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out = []
-            for key, text, phrases, partial in zip(batch.column("_key").to_pylist(), batch.column("text"), batch.column("phrases").to_pylist(), batch.column("partial").to_pylist(), strict=True):
+            for text, phrases, partial in zip(batch.column("text"), batch.column("phrases").to_pylist(), batch.column("partial").to_pylist(), strict=True):
                 raw = memoryview(text.as_buffer())
-                spans = cut_spans(len(raw), phrases, partial)
+                found = cut_spans(len(raw), phrases, partial, length)
+                if words:
+                    found = found[[len(bytes(raw[a:b]).split()) >= words for a, b in found.tolist()]]
                 sha, at = hashlib.sha256(), 0
-                for a, b in spans.tolist():
+                for a, b in found.tolist():
                     sha.update(raw[at:a])
                     at = b
                 sha.update(raw[at:])
-                out.append((key, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), sha.hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names)
+                out.append((int((found[:, 1] - found[:, 0]).sum()), found.ravel().tolist(), sha.hexdigest()))
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY], *columns], [*KEY, "n_removed", "cuts", "kept_sha256"])
 
-    cuts = found.select("_key", "text", "phrases", "partial").mapInArrow(cut, "_key long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["_key"])
-    rows = keyed.select("doc_id", "_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    joined = rows.join(cuts, "_key", "left")
-    zero = F.lit(0).cast("long")
-    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return texts.join(partial, KEY, "left").mapInArrow(cut, "_id long, _mark long, n_removed long, cuts array<long>, kept_sha256 string").where("n_removed > 0")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with all columns, the repeated bytes cut out of ``text`` (and ``n_chars``, if there is one, set anew)."""
-    found, keyed = _with_spans(docs)
-    schema = docs.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            texts = []
-            for text, phrases, partial in zip(batch.column("text"), batch.column("phrases").to_pylist(), batch.column("partial").to_pylist(), strict=True):
-                raw = bytes(text.as_buffer())
-                out, at = [], 0
-                for a, b in cut_spans(len(raw), phrases, partial).tolist():
-                    out.append(raw[at:a].decode("utf-8", "ignore"))
-                    at = b
-                out.append(raw[at:].decode("utf-8", "ignore"))
-                texts.append("".join(out))
-            columns = []
-            for f in schema.fields:
-                columns.append(pa.array(texts, batch.schema.field("text").type) if f.name == "text" else pa.array([len(t) for t in texts], batch.schema.field("n_chars").type) if f.name == "n_chars" else batch.column(f.name))
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
-
-    changed = found.select(*docs.columns, "phrases", "partial").mapInArrow(cut, schema)
-    untouched = keyed.join(found.select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
-    return changed.unionByName(untouched)
+def repeats(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text)."""
+    text = _text(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_key(docs), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    zero = F.lit(0).cast("long")
+    joined = rows.join(spans(docs, **how), KEY, "left")
+    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce((F.size("cuts") / 2).cast("long"), zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with all columns, the repeated bytes cut out of ``text`` (and ``n_chars``, if there is one, set anew). Only
+    texts that lose something go to Python."""
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts, cuts.to_pylist(), strict=True):
+            if own is None:
+                out.append(None)
+                continue
+            raw, kept, at = memoryview(text.as_buffer()), [], 0
+            for a, b in zip(own[::2], own[1::2], strict=True):
+                kept.append(bytes(raw[at:a]).decode("utf-8", "ignore"))
+                at = b
+            kept.append(bytes(raw[at:]).decode("utf-8", "ignore"))
+            out.append("".join(kept))
+        return pa.array(out, pa.string())
+
+    row, names = fresh(docs, "row"), {c: fresh(docs, c) for c in (*KEY, "cuts", "new")}
+    found = spans(docs, **how).select(*[F.col(c).alias(names[c]) for c in (*KEY, "cuts")])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), *[k.alias(names[c]) for c, k in zip(KEY, _key(docs), strict=True)])
+    rows = rows.join(found, [names[c] for c in KEY], "left")
+    rows = rows.withColumn(names["new"], without(F.when(F.col(names["cuts"]).isNotNull(), F.col(f"{row}.text").cast("string")), names["cuts"]))
+    kinds = {f.name: f.dataType for f in docs.schema}
+    new = F.coalesce(names["new"], F.coalesce(F.col(f"{row}.text").cast("string"), F.lit("")))
+    made = {"text": new.cast(kinds["text"])} | ({"n_chars": F.length(new).cast(kinds["n_chars"])} if "n_chars" in kinds else {})
+    return rows.select(*[made.get(c, F.col(row)[c]).alias(c) for c in docs.columns])
