@@ -13,6 +13,9 @@ from deltaloom.llm import bpe, common, mixing, ngram_join, repeats, toxicity
 from deltaloom.llm.queries import vocabulary
 
 
+PASSAGES = {"length": 240, "words": 51}
+
+
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score below 0.3, by a model of the labels of all rows but the held-out ones."""
     common.ship(spark)
@@ -27,9 +30,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that strings of 400 bytes cover which occur twice; n_chars is set anew."""
+    """Texts without passages of over 50 words that occur twice: runs of bytes that strings of 240 bytes cover which do, if
+    they have 51 words or more; n_chars is set anew. In 51 words are 240 bytes or more, but for about one run in twenty."""
     common.ship(spark)
-    return repeats.without_repeats(docs)
+    return repeats.without_repeats(docs, **PASSAGES)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
