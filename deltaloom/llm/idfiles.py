@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, ragged, scratch, slices
+from .common import forget, pieces, ragged, scratch, slices, written
 
 BLOCK = 4096
 MAGIC = b"DLID"
@@ -379,4 +379,7 @@ def read_files(spark: SparkSession, listed: list[tuple[str, int, int]]) -> DataF
 def id_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Encodes, writes, reads back."""
     spark = docs.sparkSession
-    return read_files(spark, write_files(encoded(docs, path, end_id), scratch(spark)))
+    ids = written(encoded(docs, path, end_id), spark)  # the bounds of the ranges are found on it, so texts are encoded once
+    files = write_files(ids, scratch(spark))
+    forget(ids)
+    return read_files(spark, files)
