@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,12 +28,42 @@ from pyspark.sql import DataFrame
 
 from .common import pieces, ragged, slices
 
-#: Entries that a worker keeps in each of its memories, about 40 MB each; when one is full it is emptied.
+#: Entries that a worker keeps in each of its three memories (pieces, words, pairs), about 45 MB each; a full one is emptied.
 MEMORY = 1 << 18
 #: Bytes of text that are split and encoded at a time.
 SLICE = 1 << 20
 
 
+class Memory:
+    """The ids of distinct texts: each text's place, and all ids one after the other in one array."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def add(self, texts: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
+        """New texts, with the number of ids of each and their ids in a row."""
+        n, m = len(self.place), len(texts)
+        last = int(self.ends[n])
+        self.ends, self.ids = self._room(self.ends, n + m + 1), self._room(self.ids, last + len(ids))
+        self.ends[n + 1 : n + m + 1] = last + np.cumsum(counts)
+        self.ids[last : last + len(ids)] = ids
+        self.place.update(zip(texts, range(n, n + m), strict=True))
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids) of the texts at these places."""
+        starts = self.ends[places]
+        counts = self.ends[places + 1] - starts
+        return counts, self.ids[ragged(starts, counts)]
+
+
 class Bpe:
     """The tokenizer of a ``tokenizers`` JSON file whose model is BPE without unknown tokens, dropout or byte fallback."""
 
@@ -78,7 +109,10 @@ class Bpe:
                 self.automaton.add_word(s, (i, 1))
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words, self.pieces = Memory(), Memory()
+        top = max(self.names, default=-1) + 1
+        self.numerals = pa.array([b"%d " % i for i in range(top)], pa.large_binary())
+        self.tokens = pa.array([(self.names.get(i, "") + " ").encode() for i in range(top)], pa.large_binary())
 
     def _spell(self, token: str) -> str:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -147,46 +181,72 @@ class Bpe:
             elif part:
                 if self.normalizer is not None:
                     part = self.normalizer.normalize_str(part)
-                for word, _ in self.splitter.pre_tokenize_str(part) if self.splitter is not None else ((part, None),):
-                    out += self.known(word)
+                out += self.all_words([x[0] for x in self.splitter.pre_tokenize_str(part)] if self.splitter is not None else [part])[1].tolist()
         return out
 
-    def known(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) > MEMORY // 2:
-                self.words.clear()
-            ids = self.words[word] = self.word(word)
-        return ids
-
-    def all_pieces(self, texts: list[str]) -> list[list[int]]:
-        """The ids of many texts without ASCII white space. Normaliser and splitter run once over all that are joined by
-        spaces, if the spaces alone tell them apart afterwards; the rest goes one by one."""
-        out: list[list[int]] = [[] for _ in texts]
+    def all_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids) of words as the splitter gives them."""
+        known = self.words
+        if len(known.place) > MEMORY:
+            known.clear()
+        new = list(dict.fromkeys(x for x in words if x not in known.place))
+        if new:
+            found = [self.word(x) for x in new]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            known.add(new, counts, np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())))
+        return known.of(np.fromiter(map(known.place.__getitem__, words), np.int64, len(words)))
+
+    def all_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids) of many texts without ASCII white space. Normaliser and splitter run once over all that are joined
+        by spaces, if the spaces alone tell them apart afterwards; the rest goes one by one."""
         plain = [i for i, x in enumerate(texts) if x and not (self.special and "<|" in x)]
         joined = " ".join([texts[i] for i in plain])
         if self.normalizer is not None:
             joined = self.normalizer.normalize_str(joined)
         parts = joined.split(" ")
+        found: list[tuple[list[int], np.ndarray, np.ndarray]] = []
         if len(parts) == len(plain) and self.splitter is not None and len(plain) > 1:
             ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
             split = self.splitter.pre_tokenize_str(joined)
             at = np.searchsorted(ends, np.fromiter((x[1][0] for x in split), np.int64, len(split)), "right")
-            for k, (word, _) in zip(at.tolist(), split, strict=True):
-                out[plain[k]] += self.known(word)
-            done = set(plain)
-        else:
-            done = set()
-            if len(plain) > 64:  # some text holds other white space: halves without it go the quick way
-                half = len(plain) // 2
-                for some in (plain[:half], plain[half:]):
-                    for i, ids in zip(some, self.all_pieces([texts[i] for i in some]), strict=True):
-                        out[i] = ids
-                done = set(plain)
+            counts, ids = self.all_words([x[0] for x in split])
+            found.append((plain, np.bincount(at, counts, len(plain)).astype(np.int64), ids))
+        elif len(plain) > 64:  # some text holds other white space: halves without it go the quick way
+            half = len(plain) // 2
+            found += [(some, *self.all_pieces([texts[i] for i in some])) for some in (plain[:half], plain[half:])]
+        done = {i for some, _, _ in found for i in some}
+        if len(done) == len(texts) and len(found) == 1:
+            return found[0][1:]
         for i, x in enumerate(texts):
             if x and i not in done:
-                out[i] = self.piece(x)
-        return out
+                ids = np.array(self.piece(x), np.int32)
+                found.append(([i], np.array([len(ids)]), ids))
+        counts = np.zeros(len(texts), np.int64)
+        for some, n, _ in found:
+            counts[some] = n
+        starts, out = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), np.int32)
+        for some, n, ids in found:
+            out[ragged(starts[some], n)] = ids
+        return counts, out
+
+    def rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of whole texts."""
+        offsets, index, distinct = pieces(column)
+        known = self.pieces
+        if len(known.place) > MEMORY:
+            known.clear()
+        new = [x for x in distinct if x not in known.place]
+        if new:
+            known.add(new, *self.all_pieces(new))
+        counts, ids = known.of(np.fromiter(map(known.place.__getitem__, distinct), np.int64, len(distinct))[index])
+        return np.concatenate([[0], np.cumsum(counts)])[offsets], ids
+
+    def digests(self, table: pa.Array, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+        """SHA-256 of each row's entries of ``table``, without the last one's space."""
+        texts = table.take(pa.array(ids))  # lie one after the other: joined
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][offsets]
+        data = memoryview(texts.buffers()[2] or b"")
+        return [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def decode(self, ids) -> str:
         """As the library without a decoder: the tokens' own strings, joined by a space; ids without a token are left out."""
@@ -207,24 +267,10 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        memory: dict[str, tuple[int, bytes, bytes]] = {}
         for batch in slices(batches, "text", SLICE):
-            offsets, index, distinct = pieces(batch.column("text"))
-            if len(memory) > MEMORY // 4:
-                memory.clear()
-            new = [x for x in distinct if x not in memory]
-            for x, ids in zip(new, bpe.all_pieces(new), strict=True):
-                memory[x] = (len(ids), "".join([f"{i} " for i in ids]).encode(), "".join([bpe.names[i] + " " for i in ids]).encode())
-            found = [memory[x] for x in distinct]
-            counts = np.array([x[0] for x in found], np.int64)
-            sums = np.concatenate([[0], np.cumsum(counts[index])]) if len(found) else np.zeros(1, np.int64)
-            order, digests = pa.array(index), []
-            for k in (1, 2):
-                texts = pa.array([x[k] for x in found], pa.large_binary()).take(order)  # lie one after the other: joined
-                ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][offsets]
-                data = memoryview(texts.buffers()[2] or b"")
-                digests.append([hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), pa.array(digests[0]), pa.array(digests[1])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            offsets, ids = bpe.rows(batch.column("text"))
+            digests = [bpe.digests(table, offsets, ids) for table in (bpe.numerals, bpe.tokens)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digests[0]), pa.array(digests[1])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -234,23 +280,9 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        memory: dict[str, tuple[bytes, bytes]] = {}
         for batch in slices(batches, "text", SLICE):
-            offsets, index, distinct = pieces(batch.column("text"))
-            if len(memory) > MEMORY // 4:
-                memory.clear()
-            new = [x for x in distinct if x not in memory]
-            for x, ids in zip(new, bpe.all_pieces(new), strict=True):
-                memory[x] = (np.array(ids, np.int32).tobytes(), "".join([bpe.names[i] + " " for i in ids]).encode())
-            found = [memory[x] for x in distinct]
-            counts = np.fromiter((len(x[0]) // 4 for x in found), np.int64, len(found))
-            flat, starts = np.frombuffer(b"".join([x[0] for x in found]), np.int32), np.cumsum(counts) - counts
-            ids = flat[ragged(starts[index], counts[index])]
-            bounds = np.concatenate([[0], np.cumsum(counts[index])])[offsets]
-            names = pa.array([x[1] for x in found], pa.large_binary()).take(pa.array(index))
-            ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset :][offsets]
-            data = memoryview(names.buffers()[2] or b"")
-            decoded = [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            bounds, ids = bpe.rows(batch.column("text"))
+            decoded = bpe.digests(bpe.tokens, bounds, ids)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.diff(bounds)), lists, pa.array(decoded)], ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"])
 

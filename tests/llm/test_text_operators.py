@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from deltaloom.llm import bpe, chat, common, fingerprints, idfiles, mixing, ngram_join, repeats, topk, toxicity, warc
@@ -350,6 +351,26 @@ def test_bpe_is_the_librarys(spark):
     assert ids == want
 
 
+def test_bpe_encodes_a_word_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary())
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice("abcdeé") for _ in range(8)) for _ in range(1000)) for _ in range(150)]
+    tokenizer, made = bpe.Bpe(vocabulary()), []
+    word = tokenizer.word
+    monkeypatch.setattr(tokenizer, "word", lambda x: made.append(x) or word(x))
+    for _ in range(2):
+        for i in range(0, len(texts), 10):
+            tokenizer.rows(pa.array(texts[i : i + 10]))
+    assert len(made) == len(set(made)) > 140_000  # more than 1 << 17
+    monkeypatch.setattr(bpe, "MEMORY", 50)
+    small = bpe.Bpe(vocabulary())
+    for some in ([texts[0], None, "a\u00a0b <|endoftext|> C"], ["", texts[0][:40]], ["x" + texts[0][:400]]):
+        offsets, ids = small.rows(pa.array(some, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [library.encode(x or "", add_special_tokens=False).ids for x in some]
+
+
 def test_chat(spark):
     from hypothesis import given, settings
     from hypothesis import strategies as st
