@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces, ragged, slices
+from .common import kept, pieces, ragged, slices
 
 #: Entries that a worker keeps in each of its three memories (pieces, words, pairs), about 45 MB each; a full one is emptied.
 MEMORY = 1 << 18
@@ -253,13 +253,11 @@ class Bpe:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def loaded(path: str) -> Bpe:
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    mine = kept("bpe")
+    if path not in mine:
+        mine[path] = Bpe(path)
+    return mine[path]
 
 
 def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,7 +265,7 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", SLICE, "bpe"):
             offsets, ids = bpe.rows(batch.column("text"))
             digests = [bpe.digests(table, offsets, ids) for table in (bpe.numerals, bpe.tokens)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digests[0]), pa.array(digests[1])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -280,7 +278,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", SLICE, "bpe"):
             bounds, ids = bpe.rows(batch.column("text"))
             decoded = bpe.digests(bpe.tokens, bounds, ids)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))

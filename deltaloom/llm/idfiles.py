@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, pieces, ragged, scratch, slices, written
+from .common import forget, kept, pieces, ragged, scratch, slices, written
 
 BLOCK = 4096
 MAGIC = b"DLID"
@@ -258,7 +258,6 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, counts, ids
 
 
-_loaded: dict = {}
 #: Distinct pieces of text that a worker remembers the ids of.
 MEMORY = 1 << 19
 
@@ -268,9 +267,10 @@ def library_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     each distinct piece is encoded once while the worker's memory holds it."""
     from tokenizers import Tokenizer
 
-    if path not in _loaded:
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    library, memory = _loaded[path]
+    mine = kept("idfiles")
+    if path not in mine:
+        mine[path] = (Tokenizer.from_file(path), {})
+    library, memory = mine[path]
     offsets, index, distinct = pieces(column)
     if len(memory) > MEMORY:
         memory.clear()
@@ -295,7 +295,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     kind = "<u2" if top < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", owner="idfiles"):
             offsets, ids = library_ids(batch.column("text"), path)
             n = batch.num_rows
             out = np.full(len(ids) + n, end_id, kind)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, shingles, slices, tasks, utf8, written
+from .common import fresh, kept, mix64, shingles, slices, tasks, utf8, written
 
 BANDS, ROWS, BLOCK = 18, 5, 512
 #: Bands and their rows of the second, more selective banding.
@@ -256,6 +256,7 @@ def verified(sets: DataFrame) -> DataFrame:
                 yield klass[i], n, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("")
         now, held = None, {}
         out: list[tuple] = []
 

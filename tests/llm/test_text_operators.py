@@ -371,6 +371,29 @@ def test_bpe_encodes_a_word_once(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [library.encode(x or "", add_special_tokens=False).ids for x in some]
 
 
+def test_workers_keep_one_operators_memories():
+    common.kept("bpe")["x"] = tokenizer = bpe.Bpe(vocabulary())
+    assert common.kept("bpe")["x"] is tokenizer and bpe.loaded(vocabulary()) is bpe.loaded(vocabulary())
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b"])], ["text"])
+    assert len(list(common.slices([batch], "text", owner="bpe"))) == 1 and common.kept("bpe")
+    assert len(list(common.slices([batch], "text"))) == 1
+    assert not common.kept("bpe")
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    limit, many = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 6000) AS text")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    before = spark.conf.get(limit)
+    try:
+        for given, top in ((str(64 << 20), common.BATCH_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(limit, given)
+            common.ship(spark)
+            got = [r["n"] for r in many.mapInArrow(sizes, "n long").collect()]
+            assert sum(got) >= 24_000_000 and max(got) < 1.1 * top
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_chat(spark):
     from hypothesis import given, settings
     from hypothesis import strategies as st
