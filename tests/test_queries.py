@@ -18,7 +18,7 @@ def wanted(name):
     return Counter(db.execute(queries.oracle_sql()[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["feed_join2", "feed_numbered", "feed_proj"])
+@pytest.mark.parametrize("name", ["feed_join2", "feed_numbered", "feed_proj", "feed_replay"])
 def test_feeds_longer_than_engines_keep(spark, monkeypatch, name):
     monkeypatch.setitem(engine.SETTINGS, "retain_deltas", (50, *engine.SETTINGS["retain_deltas"][1:]))
     monkeypatch.setattr(engine, "ALONE", 50)
