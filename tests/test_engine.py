@@ -3,6 +3,7 @@
 import pytest
 
 from deltaloom.errors import BuildFailed, DirectWrite, EpochChanged, Exists, Lagged, NotFound, Stale, ViewError
+from deltaloom.operators import delta
 from deltaloom.streaming.client import Resync, Snapshot, Subscription, Transaction, lines
 from deltaloom.streaming.engine import Engine, compact
 
@@ -294,3 +295,27 @@ def test_streaming_query_maintains(spark, tmp_path):
     q.awaitTermination(120)
     assert q.exception() is None
     assert sorted(map(tuple, e.read("v").collect())) == [("done", 2), ("open", 2)]
+
+
+def test_a_table_without_a_key_is_compacted(spark, tmp_path, monkeypatch):
+    """Rows that are there several times, nulls, values that weren't sent and a truncation, past many changes and a refresh."""
+    monkeypatch.setattr(delta, "COPIES", 3)
+    e = Engine(spark, str(tmp_path / "root"), compact_changes=3)
+    e.register_table("t", spark.createDataFrame([(1, 5)] * 7 + [(None, 2), (2, None)], "k int, x int"))
+    e.create_view("v", "SELECT k, count(*) AS n, sum(x) AS x FROM t GROUP BY k")
+    e.run_pending()
+    schemas, r = {"public.t": e.table_schema("t")}, lambda k, x: {"k": k, "x": x}
+    commit = lambda *txs: (e.log.commit([[("public.t", *c) for c in t] for t in txs], schemas), e.drain())
+    rows = lambda: sorted(map(tuple, e.read("v").collect()), key=str)
+    commit([("D", r(1, 5), None), ("I", None, r(None, 2))], [("U", r(1, 5), r(3, None), ["x"]), ("I", None, r(3, 5)), ("D", r(2, None), None)])
+    assert e.manifest["tables"]["public.t"]["from"] == 2
+    assert sorted(map(tuple, e._base("public.t", 2).collect()), key=str) == [(1, 5)] * 5 + [(3, 5)] * 2 + [(None, 2)] * 2
+    assert rows() == [(1, 5, 25), (3, 2, 10), (None, 2, 4)]
+    commit([("I", None, r(1, 5))] * 3)
+    e.refresh("v")
+    e.run_pending()
+    assert rows() == [(1, 8, 40), (3, 2, 10), (None, 2, 4)]
+    commit([("T", None, None)], [("I", None, r(4, 4)), ("I", None, r(4, 4))])
+    e.refresh("v")
+    e.run_pending()
+    assert rows() == [(4, 2, 8)]
